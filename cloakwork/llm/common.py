@@ -6,6 +6,7 @@ executors and the driver share, so a lost executor never loses a stage's result.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,6 +38,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing refers to any more; it does so after a collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a stage table that nothing still to be computed reads."""
         jvm = self.spark._jvm
