@@ -1,4 +1,4 @@
-"""Shared pieces: the shared folder, stage tables, star-edge rounds and connected components.
+"""Shared pieces: the shared folder, stage tables and connected components.
 
 Every table that cuts lineage is written to the folder that ``spark.checkpoint.dir`` names, which all
 executors and the driver share, so a lost executor never loses a stage's result.
@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -87,42 +86,3 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
         labels = new
         if not changed:
             return labels
-
-
-def bucket_links(scratch: Scratch, members: DataFrame, confirm, name: str) -> DataFrame:
-    """Links between members of shared buckets, found by stars; components ``(id, component)`` of the confirmed links.
-
-    ``members(bucket, id)`` has each id at most once in a bucket; ``confirm(pairs(a, b)) -> pairs`` keeps true links.
-    Round r draws edges from 4**r centres of each bucket to its members, skipping pairs that are already in one
-    component, and confirms them. A bucket is finished once all its members share a component or every
-    member has been a centre. So no link between two components is lost, while a bucket of like members takes
-    one star instead of all its pairs.
-    """
-    keep = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = scratch.save(members.select("bucket", "id").join(scratch.save(keep, f"{name}-keep"), "bucket"), f"{name}-m0")
-    links, components, r = None, None, 0
-    while not left.isEmpty():
-        if r == 0:
-            centres = left.groupBy("bucket").agg(F.min("id").alias("c"))
-            cand = left.join(scratch.save(centres, f"{name}-c0"), "bucket").where("id <> c")
-        else:
-            # row_number() <= n is cut down before the shuffle, so a large bucket sends only n rows of each task
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-            centres = left.withColumn("k", rank).where(F.col("k") <= min(4**r, 256))
-            centres = centres.select("bucket", F.col("id").alias("c"), F.col("component").alias("cc"))
-            cand = left.join(scratch.save(centres, f"{name}-c{r}"), "bucket").where("id <> c and component <> cc")
-        pairs = scratch.save(cand.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), f"{name}-p{r}")
-        found = scratch.save(confirm(pairs), f"{name}-l{r}")
-        links = found if links is None else links.union(found)
-        components = connected_components(scratch, links, f"{name}-cc{r}")
-        # a member that was a centre has met its whole bucket; the others of a bucket that still spans components go on
-        last = scratch.spark.read.parquet(f"{scratch.path}/{name}-c{r}").groupBy("bucket").agg(F.max("c").alias("last"))
-        rest = left.select("bucket", "id").join(scratch.save(last, f"{name}-last{r}"), "bucket").where("id > last").drop("last")
-        rest = rest.join(components, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        rest = scratch.save(rest, f"{name}-rest{r}")
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = scratch.save(rest.join(scratch.save(mixed, f"{name}-mixed{r}"), "bucket", "left_semi"), f"{name}-m{r + 1}")
-        r += 1
-    if components is None:
-        return members.select("id", F.col("id").alias("component")).limit(0)
-    return components

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.anchors import _mix
-from cloakwork.llm.common import Scratch, bucket_links, columns_of
+from cloakwork.llm.common import Scratch, columns_of, connected_components
 from cloakwork.llm.shingles import ordered, shingle_set
 from cloakwork.llm.tokens import batches
 
@@ -77,6 +77,26 @@ def _sets(k: int):
     return sets
 
 
+def prefix_pairs(scratch: Scratch, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of ``rest(id, component, n)`` in different components; no pair at ``percent`` is missing.
+
+    Two such sets share one of the n - ceil(percent * n) + 1 rarest grams of each, in one order of all grams.
+    By rarity, that leaves what only a few have; grams that occur once are counted but not joined. A shared gram's
+    places in the two sets also bound what they can share from there on.
+    """
+    grams = scratch.save(rest.join(sets.select("id", "grams"), "id").select("id", "n", "component", F.explode("grams").alias("g")), "rest-grams")
+    count = scratch.save(grams.groupBy("g").agg(F.count("*").alias("f")).where("f > 1"), "gram-counts")
+    known = grams.join(count, "g").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("known"))
+    short = F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1")
+    known = known.withColumn("skip", F.expr("n - size(known)")).withColumn("take", F.greatest(F.lit(0), short - F.col("skip")))
+    rows = known.select("id", "n", "component", "skip", F.posexplode(F.expr("slice(known, 1, cast(take as int))")).alias("k", "x"))
+    rows = scratch.save(rows.select("id", "n", "component", (F.col("skip") + F.col("k")).alias("at"), F.col("x.g").alias("g")), "prefixes")
+    a, b = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    need = f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_n - a_at, b_n - b_at)"
+    pairs = a.join(b, F.expr(f"a_g = b_g and a_id < b_id and a_component <> b_component and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {need}"))
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``.
 
@@ -84,7 +104,9 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, percent: int
     the full sets (of 64-bit hashes). Documents with equal sets are one class, whose least doc_id stands for it
     in buckets and links. Empty or null texts have no shingles and link with nothing. Rows that share a doc_id
     count as one document with the links of all of them. component_id is the least doc_id reachable; kept marks it.
-    Null doc_ids link with nothing. Empty table: empty result. Bucket members meet in stars, see bucket_links.
+    Null doc_ids link with nothing. Empty table: empty result. The members of a bucket
+    meet its least id only (a star). Where a bucket then still spans components, links between these are found by an
+    exact prefix join instead (see prefix_pairs), so a large bucket never takes all its pairs and no link is lost.
     """
     docs = columns_of(docs, "doc_id", "text")
     sig = scratch.save(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "signatures")
@@ -98,29 +120,37 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, k: int = 5, percent: int
     sets = scratch.save(texts.mapInArrow(_sets(k), "id long, grams array<long>").withColumn("n", F.size("grams")).where("n > 0"), "sets")
     size = sets.select("id", "n")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
         # sizes first: they rule out most chance pairs before any set moves
         near = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        near = scratch.save(near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), f"near-{confirm.calls}")
-        confirm.calls += 1
+        near = scratch.save(near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), f"near-{name}")
         both = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         both = both.withColumn("i", F.size(F.array_intersect("ga", "gb")))
-        return both.where(f"100 * i >= {percent} * (size(ga) + size(gb) - i)").select("a", "b").distinct()
-
-    confirm.calls = 0
-    components = bucket_links(scratch, members, confirm, "links")
+        both = both.where(f"100 * i >= {percent} * (size(ga) + size(gb) - i)").select("a", "b").distinct()
+        return scratch.save(both, f"links-{name}")
+
+    # a star in each bucket: its least id and every other member
+    centres = scratch.save(members.groupBy("bucket").agg(F.min("id").alias("c")), "centres")
+    stars = members.join(centres, "bucket").where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirm(scratch.save(stars, "stars"), "stars")
+    components = connected_components(scratch, links, "stars-cc")
+    # the members of buckets that still span components, without the centres, which have met theirs
+    rest = members.join(centres, "bucket").where("id <> c").select("bucket", "id").join(components, "id", "left")
+    rest = scratch.save(rest.select("bucket", "id", F.coalesce("component", "id").alias("component")), "rest")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    rest = rest.join(scratch.save(mixed, "mixed"), "bucket").select("id", "component").distinct().join(size, "id")
+    rest = scratch.save(rest, "rest-ids")
+    if not rest.isEmpty():
+        found = confirm(scratch.save(prefix_pairs(scratch, rest, sets, percent), "prefix-pairs"), "prefix")
+        components = connected_components(scratch, links.union(found), "all-cc")
     # rows that share a doc_id link its classes
     of = scratch.save(classes.select("set_key", "id"), "of")
     odd = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("n")).where("n > 1").select("doc_id")
     if odd.limit(1).count():
-        from cloakwork.llm.common import connected_components
-
         same = known.join(odd, "doc_id").join(of, "set_key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         links = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(same)
         components = connected_components(scratch, links, "shared-ids")
-        least = sig.join(of, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
-    else:
-        least = sig.join(of, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
+    least = sig.join(of, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id"))
     out = least.join(components, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
