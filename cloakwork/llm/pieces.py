@@ -23,7 +23,7 @@ SPACE = "▁"
 _LITERAL = 0x200000
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a lattice table at once.
-TABLE = 8192
+TABLE = 2048
 
 
 class Lattice:
@@ -70,14 +70,11 @@ class Lattice:
             h = (h + np.uint64(ord(c) + 1)) * _P
         return _mix(h)[0]
 
-    def _tables(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _tables(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative chance, id) of the piece of length l + 1 that ends at place j of word w; id -1: spelt in bytes."""
-        n, size = len(words), max(map(len, words))
+        n, size = len(start), int(length.max())
         most = min(self.longest, size)
-        code = np.zeros((n, size), np.uint64)
-        length = np.array([len(w) for w in words])
-        for i, w in enumerate(words):
-            code[i, : len(w)] = w
+        code = codes[np.minimum(start[:, None] + np.arange(size), len(codes) - 1)]
         weight = np.full((n, size + 1, most), -np.inf)
         ids = np.full((n, size + 1, most), -1, np.int32)
         h = np.zeros((n, size), np.uint64)
@@ -118,12 +115,11 @@ class Lattice:
         first = np.repeat(ends - counts, counts)
         base = np.array([xxhash.xxh3_64_intdigest(str(k)) for k in keys], np.uint64)
         draw = _mix(np.repeat(base, counts) + self.seed * _P + np.arange(len(word)).astype(np.uint64) - first.astype(np.uint64))
-        codes = []
-        for w in number:
-            c = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            c = np.where(c == 0x2581, np.uint64(0x2581 + _LITERAL), c)
-            codes.append(np.where(c == 32, np.uint64(0x2581), c))
-        length = np.array([len(c) for c in codes], np.int64)
+        codes = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes[codes == 0x2581] += np.uint64(_LITERAL)
+        codes[codes == 32] = 0x2581
+        length = np.fromiter(map(len, number), np.int64, len(number))
+        start = np.cumsum(length) - length
         by = np.argsort(length, kind="stable")  # words of like length share a table
         groups, at = [], 0
         while at < len(by):
@@ -142,7 +138,7 @@ class Lattice:
         pieces_of = np.zeros(len(word), np.int64)
         for g, own in enumerate(groups):
             mine = occurrence[cuts[g] : cuts[g + 1]]
-            chance, ids = self._tables([codes[i] for i in own])
+            chance, ids = self._tables(codes, start[own], length[own])
             width, most = chance.shape[1:]
             chance, ids = chance.reshape(-1, most), ids.reshape(-1)
             row, j = place[word[mine]] * width, length[word[mine]]
@@ -154,7 +150,7 @@ class Lattice:
                 got = ids.take((row + j) * most + k)
                 pieces_of[mine] = step
                 out[0].append(mine), out[1].append(np.full(len(mine), step)), out[2].append(got)
-                out[3].append(np.where(got < 0, self._code(codes, word[mine], j - 1, got), 0))
+                out[3].append(np.where(got < 0, codes[start[word[mine]] + j - 1], 0))
                 j = j - k - 1
                 left = j > 0
                 mine, row, j = mine[left], row[left], j[left]
@@ -166,7 +162,7 @@ class Lattice:
         who, got, code = who[order], got[order], code[order]
         spelt = np.flatnonzero(got < 0)
         if len(spelt):
-            raw = [chr(c - _LITERAL if c > 0x1FFFFF else c).encode("utf-8", "surrogatepass") for c in code[spelt].tolist()]
+            raw = [chr(c - _LITERAL if c > 0x1FFFFF else 32 if c == 0x2581 else c).encode("utf-8", "surrogatepass") for c in code[spelt].tolist()]
             widths = np.ones(len(got), np.int64)
             widths[spelt] = [len(b) for b in raw]
             starts = np.cumsum(widths) - widths
@@ -177,14 +173,6 @@ class Lattice:
         cut = np.searchsorted(who, np.concatenate([[0], ends]))
         return [got[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    @staticmethod
-    def _code(codes: list[np.ndarray], word: np.ndarray, at: np.ndarray, got: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(word), np.int64)
-        for i in np.flatnonzero(got < 0).tolist():
-            c = int(codes[word[i]][at[i]])
-            out[i] = 32 if c == 0x2581 else c
-        return out
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes that ids encode."""
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -69,6 +69,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha:
         return np.zeros(0, np.int64), np.zeros(0), -30.0
     every = np.concatenate(examples) if examples else np.zeros(0, np.int64)
     names, count = np.unique(every, return_counts=True)
+    del every
     names = names[count >= least]
     rows = []
     for x in examples:
@@ -88,19 +89,22 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha:
             seen += g * g
             bias -= 0.02 * g / np.sqrt(seen)
     w = weights(z, n)
-    return names[w != 0], w[w != 0], bias
+    return names[w != 0].astype(np.int64), w[w != 0], bias
 
 
 def _featured(it):
     for b in batches(it, "text"):
-        rows = [np.unique(features(t)) for t in b.column("text").to_pylist()]
-        yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "toxic", "features"])
+        rows = [np.unique(features(t)).astype(np.int32) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
 
 def _fitted(it):
-    rows = sorted((r["doc_id"], r["toxic"], r["features"]) for b in it for r in b.to_pylist())
-    rows.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
-    names, w, bias = fit([np.array(r[2], np.int64) for r in rows], np.array([r[1] for r in rows], float))
+    rows = []
+    for b in it:
+        own = [x.values.to_numpy().copy() for x in b.column("features")]
+        rows += zip(b.column("doc_id").to_pylist(), b.column("toxic").to_pylist(), own, strict=True)
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0], len(r[2]), r[2].tobytes()))
+    names, w, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows], float))
     yield pa.record_batch([pa.array([-1, *names.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], names=["feature", "weight"])
 
 
@@ -117,7 +121,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = columns_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    rows = rows.select("doc_id", "text", "toxic").mapInArrow(_featured, "doc_id long, toxic long, features array<long>")
+    rows = rows.select("doc_id", "text", "toxic").mapInArrow(_featured, "doc_id long, toxic long, features array<int>")
     rows = scratch.save(rows, "features")
     table = scratch.save(rows.repartition(1).mapInArrow(_fitted, "feature long, weight double"), "weights")
     got = table.orderBy(F.abs("weight").desc(), "feature").limit(MOST_WEIGHTS + 1).collect()
