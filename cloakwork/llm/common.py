@@ -62,27 +62,26 @@ def small(df: DataFrame, rows: int, limit: int = 10_000) -> DataFrame:
 def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """Components of undirected ``edges(a, b)`` as ``(id, component)`` with the least id of each component.
 
-    Min-label propagation with pointer jumping: each round joins the labels to the edges and then follows the
-    label's own label, so the rounds grow with the logarithm of a chain's length. A hub's rows only pass
-    through joins that adaptive execution may split and aggregations that combine before the shuffle.
-    Ids that occur in no edge are not returned. No links: an empty table.
+    Contraction: each node points to the least of its neighbours and itself, pointers are followed once more, and the
+    edges then run between the nodes pointed to; those inside one node go. So each round works on what is left,
+    and the rounds grow with the logarithm of a chain's length. A hub's rows only pass through joins that adaptive
+    execution may split and aggregations that combine before the shuffle. Ids in no edge are not returned.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.save(both.distinct(), f"{name}-edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), f"{name}-0")
-    k = 0
-    while True:
+    two = lambda df: df.where("a <> b").select("a", "b").union(df.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    left, labels, k = scratch.save(two(edges), f"{name}-edges"), None, 0
+    while labels is None or not left.isEmpty():
         k += 1
-        near = both.join(labels, both.a == labels.id).select(F.col("b").alias("id"), "component")
-        least = near.union(labels).groupBy("id").agg(F.min("component").alias("component"))
-        hop = labels.select(F.col("id").alias("hop"), F.col("component").alias("via"))
-        least = scratch.save(least, f"{name}-{k}-least")
-        new = least.join(hop, least.component == hop.hop, "left").select("id", F.least("component", F.coalesce("via", "component")).alias("component"))
-        new = scratch.save(new, f"{name}-{k}")
-        was = labels.select("id", F.col("component").alias("was"))
-        changed = new.join(was, "id").where("component <> was").limit(1).count()
-        for old in (f"{name}-{k}-least", f"{name}-{k - 1}"):
+        to = left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
+        to = scratch.save(to, f"{name}-{k}-to")
+        far = to.select(F.col("id").alias("p"), F.col("p").alias("q"))
+        to = scratch.save(to.join(far, "p").select("id", F.col("q").alias("p")), f"{name}-{k}-far")
+        ends = left.join(to.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(to.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
+        left = scratch.save(ends.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), f"{name}-{k}-left")
+        if labels is None:
+            labels = to.select("id", F.col("p").alias("component"))
+        else:
+            labels = labels.join(to.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+        labels = scratch.save(labels, f"{name}-{k}")
+        for old in (f"{name}-{k - 1}", f"{name}-{k}-to"):
             scratch.drop(old)
-        labels = new
-        if not changed:
-            return labels
+    return labels

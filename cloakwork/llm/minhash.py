@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.anchors import _mix
 from cloakwork.llm.common import Scratch, columns_of, connected_components
-from cloakwork.llm.shingles import ordered, shingle_set
+from cloakwork.llm.shingles import WORDS, ordered, shingle_set
 from cloakwork.llm.tokens import batches
 
 #: 24 bands of 4 bins: a pair at 0.8 shares no bucket once in 300,000 times, one at 0.85 once in 50 million.
@@ -64,6 +64,7 @@ def _signed(k: int, bands: int, rows: int):
                     out[1].append(None)
                     out[2].append(None)
             yield pa.record_batch([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "buckets"])
+        WORDS.clear()
 
     return sign
 
@@ -73,6 +74,7 @@ def _sets(k: int):
         for b in batches(it, "text"):
             got = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, k).view(np.int64) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], names=["id", "grams"])
+        WORDS.clear()
 
     return sets
 

@@ -11,7 +11,7 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
-    """Hash of each word; at most ``limit`` words are kept."""
+    """Hash of each word; at most ``limit`` words are kept, and none after a task: its worker may serve other stages."""
 
     limit = 300_000
 

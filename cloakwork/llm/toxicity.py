@@ -74,7 +74,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha:
     rows = []
     for x in examples:
         at = np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))
-        rows.append(at[names[at] == x] if len(names) else at[:0])
+        rows.append((at[names[at] == x] if len(names) else at[:0]).astype(np.int32))
     z, n = np.zeros(len(names)), np.zeros(len(names))
     rate = min(max(labels.mean(), 1e-4), 1 - 1e-4)
     bias, seen = float(np.log(rate / (1 - rate))), 1.0
@@ -96,6 +96,7 @@ def _featured(it):
     for b in batches(it, "text"):
         rows = [np.unique(features(t)).astype(np.int32) for t in b.column("text").to_pylist()]
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
+    _HASHES.clear()
 
 
 def _fitted(it):
@@ -148,6 +149,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], to: str
                 total = bias + (w[at[names[at] == x]].sum() if len(names) else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
             yield pa.record_batch([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, to])
+        _HASHES.clear()
 
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
