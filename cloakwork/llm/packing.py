@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import Scratch, columns_of
-from cloakwork.llm.tokens import Encoder, batches
+from cloakwork.llm.tokens import batches, encoder
 
 _OUT = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("rank", pa.int64())])
 
@@ -25,7 +25,7 @@ def _decompose(tokenizer: str, most: int, end_id: int):
     def cut(rows):
         shard, enc, seen = TaskContext.get().partitionId(), None, {}
         for b in batches(rows, "text"):
-            enc = enc or Encoder(tokenizer)
+            enc = enc or encoder(tokenizer)
             out = [[] for _ in range(6)]
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
                 ids, at = np.append(ids.astype("<u4"), np.uint32(end_id)), 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import Scratch, columns_of
-from cloakwork.llm.tokens import Encoder, batches
+from cloakwork.llm.tokens import batches, encoder
 
 #: Sequences of each record batch but a file's last.
 ROWS = 256
@@ -106,7 +106,7 @@ def _writer(base: str, tokenizer: str, length: int, end_id: int):
         docs, total, out = None, 0, None
         for b in batches(rows, "text"):
             if out is None:  # empty shards have no file
-                enc = Encoder(tokenizer)
+                enc = encoder(tokenizer)
                 sink, index = fs.open_output_stream(f"{own}-ids"), fs.open_output_stream(f"{own}-docs")
                 out, docs = SequenceWriter(sink, length, enc.dtype), pa.ipc.new_file(index, _DOCS)
                 end = np.array([end_id], dtype=enc.dtype)

@@ -2,80 +2,138 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
-#: A chunk ends before a run of spaces and line feeds. A byte-level pre-tokenizer always cuts there, so chunks encode apart as they do in their text.
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Any other white space could extend such a run; texts that hold some are encoded whole.
+#: White space that may join a run with the spaces and line feeds beside it; texts that hold some are encoded whole.
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+#: Visible ASCII without apostrophes and Latin letters, with single line feeds inside: the pre-tokenizer cuts these as PARTS does.
+SAFE = re.compile(r"[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?:\n[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)*").fullmatch
+PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\n| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+").findall
+#: Byte-level spelling of a line feed.
+FEED = "\u010a"
+#: Longer pieces are not kept.
+LONGEST = 64
+
+
+def _spelling() -> dict[int, str]:
+    """How a byte-level model spells each character that SAFE pieces hold: printable Latin-1 bytes as themselves, others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    byte = [chr(b if b in shown else 256 + rest.index(b)) for b in range(256)]
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in (10, *range(32, 127), *range(0xC0, 0x250))}
 
 
 class Encoder:
     """Ids of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, little-endian.
 
-    Strings of special tokens in a text count as ordinary text. Known chunks are looked up; new ones of a batch
-    are encoded in one call. At most ``cache`` chunks are kept, so memory is bounded and results don't depend on it.
+    Texts that hold the string of an added token are left to the library whole. A byte-level pre-tokenizer always cuts before a
+    single space, so texts are cut there and each piece is looked up with its space. Unknown pieces are put together
+    from the ids of their words, and the unknown words of a batch are encoded by the library in one call. At most
+    ``cache`` pieces and as many words are kept, so memory is bounded; results don't depend on what is kept.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.feed = self._ids("\n")
-        self.chunked = (
-            spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True) and not pre.get("add_prefix_space", False) and len(self.feed) == 1
+        pre, feed = spec.get("pre_tokenizer") or {}, self._ids("\n")
+        self.cut = (
+            spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space", False) and feed.tolist() == [self.tokenizer.token_to_id(FEED)]
         )
-        self.cache, self.limit = {}, cache
+        if self.cut:
+            self.feed = feed[0]
+            self.added = [t["content"] for t in spec.get("added_tokens") or []]
+            self.spelling = _spelling()
+            self.words = {"\n": feed.tobytes()}
+            self.spelt = Tokenizer.from_file(path)  # the same model on words that are spelt and cut already
+            self.spelt.pre_tokenizer = pre_tokenizers.Split(FEED, "isolated")
+        self.pieces, self.limit = {}, cache
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks: those of the form space + word in one text, between line feeds, which stay single ids there."""
-        plain = [c for c in chunks if c[0] == " " and c[1:2] != " " and len(c) > 1 and "\n" not in c]
-        out = {}
-        if plain:
-            ids = self._ids("\n".join(plain))
-            ends = [*np.flatnonzero(ids == self.feed[0]).tolist(), len(ids)]
-            if len(ends) == len(plain):
-                raw, w, at = ids.tobytes(), self.dtype.itemsize, 0
-                for c, end in zip(plain, ends, strict=True):
-                    out[c] = raw[at * w : end * w]
-                    at = end + 1
-        for c in chunks:
-            if c not in out:
-                out[c] = self._ids(c).tobytes()
-        return out
+    def _between_feeds(self, tokenizer, text: str, words: list[str]) -> list[bytes] | None:
+        """Ids of each word from the text that joins them; None if the line feeds between them don't show where each ends."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends, raw, w = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)], ids.tobytes(), self.dtype.itemsize
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        return [raw[a * w : b * w] for a, b in zip(starts, ends, strict=True)] if len(ends) == len(words) else None
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces, each with a space before it; None for those with other white space."""
+        known, words, plain, rest = self.words, set(), [], []
+        for p in new:
+            (plain if SAFE(p) else rest).append(p)
+        parts = [PARTS(" " + p) for p in plain]
+        for x in parts:
+            words.update(filterfalse(known.__contains__, x))
+        words = list(words)
+        if words:
+            ids = self._between_feeds(self.spelt, "\n".join(words).translate(self.spelling), words)
+            known.update(zip(words, ids or [self._ids(x).tobytes() for x in words], strict=True))
+        get = known.__getitem__
+        self.pieces.update((p, b"".join(map(get, x))) for p, x in zip(plain, parts, strict=True))
+        self.pieces.update((p, None) for p in rest if OTHER_SPACE.search(p))
+        one = [p for p in rest if "\n" not in p and p not in self.pieces]
+        if one:
+            text = "\n".join([" " + p for p in one])
+            self.pieces.update(zip(one, self._between_feeds(self.tokenizer, text, one) or (), strict=False))
+        for p in rest:
+            if p not in self.pieces:
+                self.pieces[p] = self._ids(" " + p).tobytes()
+        self._forget(known, words)
+
+    def _forget(self, held: dict, new: list[str]) -> None:
+        for x in [x for x in new if len(x) > LONGEST]:
+            del held[x]
+        over = len(held) - self.limit
+        for x in [x for x in new if x in held][-over:] if over > 0 else ():
+            del held[x]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Null is an empty text."""
-        if not self.chunked:
-            got = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        texts = [t or "" for t in texts]
+        if not self.cut:
+            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, dtype=self.dtype) for e in got]
-        split = [None if t and OTHER_SPACE.search(t) else CHUNK.findall(t or "") for t in texts]
-        cache, new = self.cache, set()
-        for chunks in split:
-            if chunks:
-                new.update(chunks)
-        new = [c for c in new if c not in cache]
-        cache.update(self._learn(new))
-        get = cache.__getitem__
-        out = [self._ids(t) if c is None else np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for t, c in zip(texts, split, strict=True)]
-        for c in new[max(0, len(new) - max(0, len(cache) - self.limit)) :]:
-            del cache[c]
+        # runs of spaces and line feeds with a space in them aren't cut where spaces are
+        odd = [any(a in t for a in self.added) or t[:1] == " " or t[-1:] == " " or "  " in t or "\n " in t or " \n" in t for t in texts]
+        split = [None if o else t.split(" ") for o, t in zip(odd, texts, strict=True)]
+        new, known = set(), self.pieces.__contains__
+        for s in split:
+            if s:
+                head = s.pop(0)
+                new.update(filterfalse(known, s))
+                s.append(head)
+        new = list(new)
+        self._learn(new)
+        out, get = [], self.pieces.__getitem__
+        for t, s in zip(texts, split, strict=True):
+            ids = None
+            if s and not OTHER_SPACE.search(head := s.pop()):
+                found = list(map(get, s))
+                ids = None if None in found else np.frombuffer(self._ids(head).tobytes() + b"".join(found), dtype=self.dtype)
+            out.append(self._ids(t) if ids is None else ids)
+        self._forget(self.pieces, new)
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what it keeps serves all tasks of a worker."""
+    return Encoder(path)
+
+
 def batches(rows, texts: str, most: int = 4 << 20):
     """Cut Arrow record batches into pieces of at most about ``most`` bytes of text (one row at least)."""
     for b in rows:
