@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cloakwork.llm.common import columns_of
 
 #: Words of a k-mer and of the substrings inside it.
-K, S = 10, 2
+K, S = 5, 2
 
 
 def anchors(text: str, k: int = K, s: int = S) -> str:
@@ -16,7 +16,7 @@ def anchors(text: str, k: int = K, s: int = S) -> str:
 
     A k-mer of words is chosen if the least hash of the s-words in it is that of the first or the last of them.
     That depends on nothing outside the k-mer, so equal passages give equal anchors wherever they stand. A text of
-    fewer than k words is one anchor, a text without words has none.
+    fewer than k words is one anchor, one without a chosen k-mer has its least k-mer's hash, one without words has none.
     """
     inner = k - s + 1
     middle = ", ".join(f"g[i + {j}]" for j in range(1, inner - 1))
@@ -24,7 +24,10 @@ def anchors(text: str, k: int = K, s: int = S) -> str:
     # each transform over a one-element array names a value, so that it is computed once
     grams = "transform(sequence(0, size(h) - {s}), i -> xxhash64({gram}))".format(s=s, gram=", ".join(f"h[i + {j}]" for j in range(s)))
     chosen = f"filter(sequence(0, size(h) - {k}), i -> least(g[i], g[i + {inner - 1}]) <= least({middle}))"
-    many = f"flatten(transform(array({grams}), g -> transform({chosen}, i -> xxhash64(slice(h, i + 1, {k})) & 4294967295)))"
+    hashed = f"i -> xxhash64(slice(h, i + 1, {k})) & 4294967295"
+    least = f"array(array_min(transform(sequence(0, size(h) - {k}), {hashed})))"
+    many = f"flatten(transform(array({grams}), g -> transform({chosen}, {hashed})))"
+    many = f"flatten(transform(array({many}), c -> if(size(c) > 0, c, {least})))"
     return f"flatten(transform(array(transform({words}, w -> xxhash64(w))), h -> if(size(h) = 0, cast(array() as array<bigint>), if(size(h) < {k}, array(xxhash64(h) & 4294967295), {many}))))"
 
 
