@@ -10,17 +10,10 @@ from pyspark.sql import functions as F
 
 from cloakwork.operators import disguise as D
 from cloakwork.operators import reveal as R
-from cloakwork.operators.speaksfor import pseudoprincipals
+from cloakwork.operators.speaksfor import durable, pseudoprincipals
 from cloakwork.sources.catalog import Decor, Generator, Modify, Remove, TableInfo
 
 
-def durable(spark: SparkSession) -> None:
-    """A checkpoint folder: the session's spark.checkpoint.dir, or one of our own if it is unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cloakwork-checkpoints")
-
-
 class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], info: dict[str, TableInfo], generator: Generator):
         durable(spark)

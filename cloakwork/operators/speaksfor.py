@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(root, uid, depth): everything reachable from each old_uid, itself at depth 0; a recursive query."""
-    edges.select("old_uid", "new_uid").distinct().createOrReplaceTempView("__edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE c(root, uid, depth) AS (
-          SELECT DISTINCT old_uid, old_uid, 0 FROM __edges
-          UNION ALL
-          SELECT c.root, e.new_uid, c.depth + 1 FROM c JOIN __edges e ON c.uid = e.old_uid WHERE c.depth < {limit}
-        ) SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid""")
+def durable(spark: SparkSession) -> None:
+    """A checkpoint folder: the session's spark.checkpoint.dir, or one of our own if it is unset."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/cloakwork-checkpoints")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(root, uid, depth): everything reachable from each old_uid, itself at depth 0, over any number of hops.
+
+    Each round doubles the depth and is written: pairs less than 2^k apart are joined with those exactly 2^k apart,
+    so the rounds grow with the logarithm of the longest chain. Cycles end, as only shortest ways are kept.
+    """
+    durable(edges.sparkSession)
+    step = edges.where("old_uid <> new_uid").select("old_uid", "new_uid").distinct().checkpoint()
+    pairs = edges.select(F.col("old_uid").alias("root"), F.col("old_uid").alias("uid"), F.lit(0).alias("depth")).distinct().checkpoint()
+    hops = 1
+    while not step.isEmpty():
+        far = pairs.join(step, pairs.uid == step.old_uid).select("root", F.col("new_uid").alias("uid"), (F.col("depth") + hops).alias("depth"))
+        pairs = pairs.union(far).groupBy("root", "uid").agg(F.min("depth").alias("depth")).checkpoint()
+        more = step.select(F.col("old_uid").alias("root"), F.col("new_uid").alias("mid")).join(step, F.col("mid") == F.col("old_uid")).select("root", F.col("new_uid").alias("uid"))
+        step = more.distinct().join(pairs, ["root", "uid"], "left_anti").select(F.col("root").alias("old_uid"), F.col("uid").alias("new_uid")).checkpoint()
+        hops *= 2
+    return pairs
 
 
 def pseudoprincipals(edges: DataFrame, user) -> DataFrame:
