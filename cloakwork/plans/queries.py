@@ -155,20 +155,41 @@ def generators(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 200 AND o_orderkey > 0").select(F.expr("cast(o_orderkey div 3 as string)").alias("old_uid"), F.col("o_orderkey").cast("string").alias("new_uid"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey > 0").select(F.expr("cast(o_orderkey div 3 as string)").alias("old_uid"), F.col("o_orderkey").cast("string").alias("new_uid"))
 
 
+def _few_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).where("cast(new_uid as bigint) < 200")
+
+
+#: Edges below 200, as SQL has them; the queries ..._all take the edges of all orders.
 _E = "WITH RECURSIVE e AS (SELECT CAST(o_orderkey // 3 AS VARCHAR) AS old_uid, CAST(o_orderkey AS VARCHAR) AS new_uid FROM orders WHERE o_orderkey < 200 AND o_orderkey > 0), c(root, uid, depth) AS (SELECT DISTINCT old_uid, old_uid, 0 FROM e UNION ALL SELECT c.root, e.new_uid, c.depth + 1 FROM c JOIN e ON c.uid = e.old_uid WHERE c.depth < 64)"
 
 
 @_q("k8_closure", f"{_E} SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid")
 def speaks_for(spark, sf_dir):
+    return closure(_few_edges(spark, sf_dir))
+
+
+_EA = "WITH RECURSIVE e AS (SELECT CAST(o_orderkey // 3 AS VARCHAR) AS old_uid, CAST(o_orderkey AS VARCHAR) AS new_uid FROM orders WHERE o_orderkey > 0), c(root, uid, depth) AS (SELECT DISTINCT old_uid, old_uid, 0 FROM e UNION ALL SELECT c.root, e.new_uid, c.depth + 1 FROM c JOIN e ON c.uid = e.old_uid)"
+
+
+@_q("k8_closure_all", f"{_EA} SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid")
+def speaks_for_all(spark, sf_dir):
     return closure(_edges(spark, sf_dir))
 
 
 @_q("r6_nearest_ancestor", f"{_E}, g AS (SELECT new_uid AS uid FROM e WHERE CAST(new_uid AS BIGINT) % 2 = 0) SELECT uid, arg_min(root, depth) AS ancestor FROM c WHERE depth > 0 AND uid IN (SELECT uid FROM g) AND root NOT IN (SELECT uid FROM g) GROUP BY uid")
 def ancestors(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    return _ancestors(_few_edges(spark, sf_dir))
+
+
+@_q("r6_nearest_ancestor_all", f"{_EA}, g AS (SELECT new_uid AS uid FROM e WHERE CAST(new_uid AS BIGINT) % 2 = 0) SELECT uid, arg_min(root, depth) AS ancestor FROM c WHERE depth > 0 AND uid IN (SELECT uid FROM g) AND root NOT IN (SELECT uid FROM g) GROUP BY uid")
+def ancestors_all(spark, sf_dir):
+    return _ancestors(_edges(spark, sf_dir))
+
+
+def _ancestors(e):
     return nearest_ancestor(e, e.where("cast(new_uid as bigint) % 2 = 0").select(F.col("new_uid").alias("uid")))
 
 
