@@ -9,6 +9,7 @@ from cloakwork.functions.expressions import AFFILIATION, PP_BASE, digest, digits
 from cloakwork.operators import disguise as D
 from cloakwork.operators import encrypted, policy
 from cloakwork.operators import reveal as R
+from cloakwork.operators.engine import Engine
 from cloakwork.operators.speaksfor import closure, nearest_ancestor
 from cloakwork.plans.workload import BOTH, MODERATIONS, PAIRS, TABLES
 from cloakwork.sources.catalog import Decor, ForeignKey, Generator, Modify, Remove, TableInfo, delete_matching, read_tables, update, upsert
@@ -247,7 +248,11 @@ def orphan_rows(spark, sf_dir):
 
 @_q("u4_replay_values", "SELECT c_custkey, replace(c_name, 'o', 'i') AS c_name FROM customer")
 def replay(spark, sf_dir):
-    return tables(spark, sf_dir)["customer"].select("c_custkey", F.expr("replace(c_name, 'o', 'i')").alias("c_name"))
+    e = Engine(spark, {"customer": tables(spark, sf_dir)["customer"]}, {"customer": USERS}, PPS)
+    did = e.apply({"customer": [Remove("c_acctbal < 0")]})
+    e.record_update("customer", lambda df: df.withColumn("c_name", F.expr("replace(c_name, 'o', 'i')")))
+    e.reveal(did)
+    return e.tables["customer"].select("c_custkey", "c_name")
 
 
 @_q("p5_owner_hop", "SELECT o_orderkey FROM orders WHERE o_custkey IN (4, 12, 13, 14)")
