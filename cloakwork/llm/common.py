@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or one of our own where the setting is absent (tests, local runs)."""
+    """The shared folder: ``spark.checkpoint.dir``; where that is unset, one of our own if the master is local, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "cloakwork-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,11 +33,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.path = f"{shared_base(spark)}/{what}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return it as read back: its lineage is then a scan of shared files."""
         to = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(to)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def release(self) -> None:
@@ -44,10 +49,17 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a stage table that nothing still to be computed reads."""
+        self.names.discard(name)
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all stage tables but those named, which the result still reads, and old shuffle files."""
+        for n in self.names - set(names):
+            self.drop(n)
+        self.release()
+
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that any extra column of the input, whatever its name, stays out of the way."""
@@ -68,7 +80,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
     execution may split and aggregations that combine before the shuffle. Ids in no edge are not returned.
     """
     two = lambda df: df.where("a <> b").select("a", "b").union(df.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    left, labels, k = scratch.save(two(edges), f"{name}-edges"), None, 0
+    left, labels, k = scratch.save(two(edges), f"{name}-0-left"), None, 0
     while labels is None or not left.isEmpty():
         k += 1
         to = left.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
@@ -82,6 +94,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataF
         else:
             labels = labels.join(to.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         labels = scratch.save(labels, f"{name}-{k}")
-        for old in (f"{name}-{k - 1}", f"{name}-{k}-to"):
+        for old in (f"{name}-{k - 1}", f"{name}-{k}-to", f"{name}-{k}-far", f"{name}-{k - 1}-left"):
             scratch.drop(old)
+    scratch.drop(f"{name}-{k}-left")
     return labels

@@ -143,15 +143,16 @@ def test_components(spark):
     assert {r.id: r.component for r in got.collect()} == {i: 0 for i in range(31)} | {k: 100 for k in range(100, 120)}
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_lines(spark, hot):
+def test_lines(spark):
     base = " ".join(f"word{i} thing{i}" for i in range(40))
     near = base.replace("word7 ", "wordx ")
     rows = [(1, f"{base}\nshort\nshort\n{base.upper()}"), (2, f"intro line of some words here\n{near}"), (3, None), (4, ""), (5, "short"), (6, "\n\n"), (2**40, f"{base}.\nnew text that stays as it is")]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(Scratch(spark, "t9"), docs_of(spark, rows), hot=hot, radius=8 if hot else 3).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(Scratch(spark, "t9"), docs_of(spark, rows)).collect()}
     assert got[1] == (4, 1, f"{base}\nshort\nshort") and got[3] == (0, 0, None) and got[4] == (1, 0, "") and got[6] == (3, 0, "\n\n")
     assert got[2**40] == (2, 1, "new text that stays as it is")
-    assert got[2][0] == 2 and got[2][1] in (0, 1)
+    assert got[2] == (2, 1, "intro line of some words here")
+    short = {r.doc_id: (r.n_removed, r.text) for r in lines.dedup_lines(Scratch(spark, "t9"), docs_of(spark, rows), least=1).collect()}
+    assert short[1] == (2, f"{base}\nshort") and short[5] == (1, "") and short[6] == (0, "\n\n") and short[4] == (0, "")
 
 
 def test_lines_odd(spark, odd):
@@ -160,8 +161,12 @@ def test_lines_odd(spark, odd):
     assert [r.n_removed for r in got.where("doc_id = 13").collect()] == [0, 0]
 
 
-def test_blocks():
-    assert lines.blocks_for(1000) == 4 and lines.blocks_for(1 << 30) == 5 and lines.blocks_for(1 << 38) == 6
+def test_line_columns_may_clash(spark):
+    rows = [(1, "one two three four", "a", 5), (1, "one two three four", "b", 6), (2, "one two three four", "c", 7), (None, None, "d", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` string, gone int")
+    got = lines.dedup_lines(Scratch(spark, "t9"), docs)
+    assert got.columns == ["doc_id", "text", "row", "gone", "n_lines", "n_removed"]
+    assert sorted((r["row"], r.gone, r.n_removed) for r in got.collect()) == [("a", 5, 0), ("b", 6, 0), ("c", 7, 1), ("d", 8, 0)]
 
 
 def ids_of(texts):
