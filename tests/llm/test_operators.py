@@ -65,6 +65,19 @@ def test_suffixes_odd(spark, odd):
     assert by[13] == {(4, 0)} and by[1] == {(0, 0)} and by[None] == {(len(P), 0)} and all(n == m for n, m in by[3])
 
 
+def test_suffix_stage_keeps_rows(spark):
+    """Two texts of one doc_id and length, rows without a doc_id, repeated rows, clashing columns: each row keeps its own text."""
+    import corpus_pipeline
+
+    a, b = ("".join(hashlib.sha256(f"{s}{i}".encode()).hexdigest() for i in range(3))[:130] for s in "ab")
+    rows = [(1, a, 130, "p", 0), (1, b, 130, "q", 1), (None, b, 130, "r", 2), (None, a + "x", 131, "s", 3), (2, None, 0, "t", 4), (3, a, 130, "u", 5), (3, a, 130, "u", 5), (4, "", 0, "v", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `rest` string, sub int")
+    got = corpus_pipeline.suffix_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    # rows without a doc_id come first and stay whole; everything else repeats them
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[4]) == [(1, "", 0, "p", 0), (1, "", 0, "q", 1), (None, b, 130, "r", 2), (None, a + "x", 131, "s", 3), (2, None, 0, "t", 4), (3, "", 0, "u", 5), (3, "", 0, "u", 5), (4, "", 0, "v", 6)]
+
+
 def test_anchor_windows():
     rng = np.random.default_rng(3)
     for _ in range(60):
