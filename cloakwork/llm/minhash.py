@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloakwork.llm.anchors import _mix
 from cloakwork.llm.common import Scratch, columns_of, connected_components
 from cloakwork.llm.shingles import WORDS, ordered, shingle_set
-from cloakwork.llm.tokens import batches
+from cloakwork.llm.tokens import batches, forget
 
 #: 24 bands of 4 bins: a pair at 0.8 shares no bucket once in 300,000 times, one at 0.85 once in 50 million.
 BANDS, ROWS = 24, 4
@@ -49,6 +49,7 @@ def signature(values: np.ndarray, bins: int, draws: np.ndarray) -> np.ndarray:
 
 def _signed(k: int, bands: int, rows: int):
     def sign(it):
+        forget()
         draws = _draws(bands * rows)
         number = np.arange(bands, dtype=np.uint64)
         for b in batches(it, "text"):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import json
 import os
 import re
@@ -134,6 +137,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Give back the memory of what a worker keeps of ids: workers outlive their stage and serve others next."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other platforms have no malloc_trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(rows, texts: str, most: int = 4 << 20):
     """Cut Arrow record batches into pieces of at most about ``most`` bytes of text (one row at least)."""
     for b in rows:

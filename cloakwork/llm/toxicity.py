@@ -14,12 +14,10 @@ from pyspark.sql import types as T
 
 from cloakwork.llm.anchors import _mix
 from cloakwork.llm.common import Scratch, columns_of
-from cloakwork.llm.tokens import batches
+from cloakwork.llm.tokens import batches, forget
 
 #: Labelled rows that the model is fitted on, at most; the rows with the least hash of doc_id are taken.
 SAMPLE = 8000
-#: Weights that are sent to the executors, at most.
-MOST_WEIGHTS = 200_000
 #: A document is rejected from this score on.
 THRESHOLD = 0.7
 #: Features are hashed to this many bits.
@@ -67,7 +65,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha:
     """
     if not len(labels):
         return np.zeros(0, np.int64), np.zeros(0), -30.0
-    every = np.concatenate(examples) if examples else np.zeros(0, np.int64)
+    every = np.concatenate(examples)
     names, count = np.unique(every, return_counts=True)
     del every
     names = names[count >= least]
@@ -93,6 +91,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha:
 
 
 def _featured(it):
+    forget()
     for b in batches(it, "text"):
         rows = [np.unique(features(t)).astype(np.int32) for t in b.column("text").to_pylist()]
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
@@ -100,6 +99,7 @@ def _featured(it):
 
 
 def _fitted(it):
+    forget()
     rows = []
     for b in it:
         own = [x.values.to_numpy().copy() for x in b.column("features")]
@@ -125,7 +125,8 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
     rows = rows.select("doc_id", "text", "toxic").mapInArrow(_featured, "doc_id long, toxic long, features array<int>")
     rows = scratch.save(rows, "features")
     table = scratch.save(rows.repartition(1).mapInArrow(_fitted, "feature long, weight double"), "weights")
-    got = table.orderBy(F.abs("weight").desc(), "feature").limit(MOST_WEIGHTS + 1).collect()
+    # features of at least three of at most `sample` documents whose weight L1 leaves: bounded by the sample, not by the corpus
+    got = table.collect()
     bias = next((r.weight for r in got if r.feature == -1), -30.0)
     got = sorted((r.feature, r.weight) for r in got if r.feature != -1)
     return np.array([f for f, _ in got], np.int64), np.array([w for _, w in got]), bias
@@ -136,6 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], to: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(it):
+        forget()
         names, w, bias = sent.value
         # a small table by the low bits rules out nearly all features before they are looked up
         maybe = np.zeros(1 << 22, bool)
