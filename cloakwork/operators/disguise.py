@@ -6,6 +6,7 @@ same id wherever they are, and no mapping has to be joined back. diffs(uid, typ,
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,11 +27,24 @@ class Result:
     principals: DataFrame | None = None
 
 
-def matches(tables: dict[str, DataFrame], info: TableInfo, t, user=None) -> DataFrame:
-    """The rows of info.table that a transformation takes, each once; with ``frm`` by a semi join on its ids."""
+def owned(df: DataFrame, info: TableInfo, valid: DataFrame) -> DataFrame:
+    """Rows of which some owner column has one of ``valid(uid)``: the user or, over any number of hops, a pseudoprincipal."""
+    if not info.owner_fks:
+        raise ValueError("a user was given, but the table has no owner columns")
+    ids = functools.reduce(DataFrame.union, [df.join(valid.select(F.col("uid").alias("__v")).distinct(), F.col(k.from_col).cast("string") == F.col("__v"), "left_semi").select(*info.id_cols) for k in info.owner_fks])
+    return df.join(ids.distinct(), list(info.id_cols), "left_semi")
+
+
+def matches(tables: dict[str, DataFrame], info: TableInfo, t, user=None, valid: DataFrame | None = None) -> DataFrame:
+    """The rows of info.table that a transformation takes, each once; with ``frm`` by a semi join on its ids.
+
+    ``valid(uid)`` are the user and its pseudoprincipals, whose rows are the user's too.
+    """
     base = tables[info.table]
-    own = owner_filter([f"{info.table}.{k.from_col}" if t.frm else k.from_col for k in info.owner_fks], user)
+    own = owner_filter([f"{info.table}.{k.from_col}" if t.frm else k.from_col for k in info.owner_fks], user if valid is None else None)
     pred = own & predicate(t.pred)
+    if valid is not None:
+        base = owned(base, info, valid)
     if t.frm is None:
         return base.where(pred.sql)
     for name, df in tables.items():
@@ -61,9 +75,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def remove(tables: dict, info: TableInfo, t: Remove, user=None, principal: str | None = None) -> Result:
+def remove(tables: dict, info: TableInfo, t: Remove, user=None, principal: str | None = None, valid: DataFrame | None = None) -> Result:
     """Rows that match go; each owner (or, for the principal table, the principal) gets a REMOVE diff."""
-    hit = matches(tables, info, t, user)
+    hit = matches(tables, info, t, user, valid)
     owners = [F.col(k.from_col) for k in info.owner_fks] or [F.lit(None)]
     typ = "REMOVE_PRINCIPAL" if info.table == principal else "REMOVE"
     owner = owners[0] if len(owners) == 1 else F.explode(F.array_distinct(F.array(*owners)))
@@ -71,12 +85,12 @@ def remove(tables: dict, info: TableInfo, t: Remove, user=None, principal: str |
     return Result(tables[info.table].join(hit.select(*info.id_cols), list(info.id_cols), "left_anti").select(tables[info.table].columns), diffs)
 
 
-def modify(tables: dict, info: TableInfo, t: Modify, did: str, user=None) -> Result:
+def modify(tables: dict, info: TableInfo, t: Modify, did: str, user=None, valid: DataFrame | None = None) -> Result:
     """One value for the whole transformation; a MODIFY diff for every owner column of a row."""
-    base, hit = tables[info.table], matches(tables, info, t, user)
+    base, hit = tables[info.table], matches(tables, info, t, user, valid)
     value = F.expr(generated(t.generator[0], digest(did, repr(info.table), repr(t.col)), *t.generator[1:])).cast(base.schema[t.col].dataType)
     marked = hit.select(*info.id_cols).withColumn("__hit", F.lit(True))
-    out = base.join(marked, list(info.id_cols), "left").withColumn(t.col, F.when(F.col("__hit"), value).otherwise(F.col(t.col))).select(base.columns) if t.frm else base.withColumn(t.col, F.when(F.coalesce(F.expr((owner_filter([k.from_col for k in info.owner_fks], user) & predicate(t.pred)).sql), F.lit(False)), value).otherwise(F.col(t.col)))
+    out = base.join(marked, list(info.id_cols), "left").withColumn(t.col, F.when(F.col("__hit"), value).otherwise(F.col(t.col))).select(base.columns) if t.frm or valid is not None else base.withColumn(t.col, F.when(F.coalesce(F.expr((owner_filter([k.from_col for k in info.owner_fks], user) & predicate(t.pred)).sql), F.lit(False)), value).otherwise(F.col(t.col)))
     old, new = image(base), image(hit.withColumn(t.col, value))
     rows = hit.withColumn("__old", old).withColumn(t.col, value).withColumn("__new", new)
     diffs = _union([_diff(rows, F.col(k.from_col), "MODIFY", info, F.col("__old"), F.col("__new")) for k in info.owner_fks] or [_diff(rows, F.lit(None), "MODIFY", info, F.col("__old"), F.col("__new"))])
@@ -165,4 +179,6 @@ def remove_shared(tables: dict, info: TableInfo, t: Remove, generator: Generator
         edges.append(own.select(F.col(fk).cast("string").alias("old_uid"), pp.alias("new_uid")))
     edges = _union(edges).distinct()
     principals = principal_rows(generator, edges.select(F.col("new_uid").alias("uid")).distinct(), tables[generator.table].schema, did)
-    return Result(out.select(base.columns), _union(parts), edges, principals)
+    none = F.lit(None).cast("map<string,string>")
+    new = edges.select(F.col("old_uid").alias("uid"), F.lit("NEW_PP").alias("typ"), F.lit(generator.table).alias("tbl"), F.create_map(F.lit(generator.id_col), "new_uid").alias("ids"), none.alias("old"), none.alias("new"), "old_uid", "new_uid")
+    return Result(out.select(base.columns), _union([*parts, new]), edges, principals)

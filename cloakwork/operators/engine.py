@@ -55,16 +55,16 @@ class Engine:
                     gone = self._uids(user, valid)
                     take(t, D.remove_shared(tables, own, x, self.generator, did, gone))
                 else:
-                    take(t, D.remove(tables, own, x, user))
+                    take(t, D.remove(tables, own, x, user, valid=valid))
         for t, x in every:
             if isinstance(x, Modify):
-                take(t, D.modify(tables, self.info[t], x, did, user))
+                take(t, D.modify(tables, self.info[t], x, did, user, valid if self.info[t].owner_fks else None))
         for t, x in every:
             if isinstance(x, Decor):
                 take(t, D.decorrelate(tables, self.info[t], x, self.generator, did, user, valid))
         for t, x in every:
             if isinstance(x, Remove) and t == self.principal:
-                take(t, D.remove(tables, self.info[t], x, user, self.principal))
+                take(t, D.remove(tables, self.info[t], x, user, self.principal, valid))
         self.tables = tables
         for d in diffs:
             self.diffs = self.diffs.unionByName(d)
@@ -80,7 +80,7 @@ class Engine:
     def reveal(self, did: str, user=None, mode: str = "restore", allow_partial: bool = True) -> None:
         """Undo a disguise, for all or for one user's diffs: principals, then tables by their references, then pseudoprincipals.
 
-        Rows whose references are missing make the whole table's reveal void. Updates recorded since are replayed
+        Rows whose references are missing make the whole table's reveal void; its diffs stay for a later one. Updates recorded since are replayed
         on the diffs' images first.
         """
         mine = self.diffs.where(F.col("did") == did)
@@ -92,6 +92,7 @@ class Engine:
             return
         order = R.order_of_tables(self.info)
         order.sort(key=lambda t: t != self.principal)
+        void: list[str] = []
         gone_pps = mine.where("typ = 'NEW_PP'").select(F.col("new_uid").alias("uid")).distinct()
         for t in order:
             own = mine.where((F.col("tbl") == t) & F.col("typ").isin("REMOVE", "REMOVE_PRINCIPAL", "MODIFY", "DECOR"))
@@ -104,9 +105,13 @@ class Engine:
             back = after.join(tables[t].select(*self.info[t].id_cols), list(self.info[t].id_cols), "left_anti")
             if R.orphans(back, self.info[t], tables | {t: after}).isEmpty():
                 tables[t] = after
+            else:
+                void.append(t)
         tables = R.reveal_pseudoprincipals(tables, self.info, self.principal, self.id_col, self.edges, gone_pps, mode)
         self.tables = {t: df.checkpoint() for t, df in tables.items()}
-        done = mine.select("did", "seq", F.to_json("ids").alias("k"), "uid").distinct()
+        # the diffs of void tables stay: a later reveal may find their references back
+        done = mine.where(~F.col("tbl").isin(void)) if void else mine
+        done = done.select("did", "seq", F.to_json("ids").alias("k"), "uid").distinct()
         self.diffs = self.diffs.withColumn("k", F.to_json("ids")).join(done, ["did", "seq", "k", "uid"], "left_anti").drop("k").checkpoint()
         if mode != "retain":
             self.edges = self.edges.join(gone_pps.select(F.col("uid").alias("new_uid")), "new_uid", "left_anti").select("did", "old_uid", "new_uid").checkpoint()
@@ -124,9 +129,7 @@ class Engine:
             types = dict(now.dtypes)
             rows = own.where(F.col(side).isNotNull()).select(F.struct(*own.columns).alias("__d"), *[F.element_at(side, c).cast(types.get(c, "string")).alias(c) for c in names])
             for f in changes:
-                kept = rows.columns
                 rows = f(rows)
-                del kept
             image = F.create_map(*[x for c in rows.columns if c != "__d" for x in (F.lit(c), F.col(c).cast("string"))])
             done = rows.select(*[(image if c == side else F.col(f"__d.{c}")).alias(c) for c in own.columns])
             own = done.unionByName(own.where(F.col(side).isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +90,39 @@ def non_null(base: DataFrame, columns: list[str]) -> DataFrame:
     return base.dropna(subset=columns)
 
 
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """Names of all relations that a query reads, those of its own common table expressions left out; other sources as they stand."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    text = plan.toString()
+    names = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", text))
+    own = {n.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", text) for n in found.split(",")}
+    return {n.replace(", ", ".") for n in names if n.lower() not in own}
+
+
 def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], session: dict) -> DataFrame:
-    """A query under the session's views; :name parameters are bound to it."""
+    """A query under the session's views; :name parameters are bound to it. Any other table, view, file or table function is refused.
+
+    Temporary views that stood under the same names are put back once the query is analysed.
+    """
     if not sql.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only queries run under policies")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args={k: v for k, v in session.items() if f":{k}" in sql})
+    other = relations(spark, sql) - set(views)
+    if other:
+        raise PermissionError(f"no policy opens {', '.join(sorted(other))}")
+    if re.search(r"UnresolvedTableValuedFunction", spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()):
+        raise PermissionError("table functions aren't open to policies")
+    return _bound(spark, sql, views, session)
+
+
+def _bound(spark: SparkSession, sql: str, views: dict[str, DataFrame], session: dict) -> DataFrame:
+    """The query with the views as the only relations: they stand in session-local names while it is analysed, and go again."""
+    before = {n: spark.table(n) for n in views if spark.catalog.tableExists(n)}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql, args={k: v for k, v in session.items() if f":{k}" in sql})
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+            if name in before:
+                before[name].createOrReplaceTempView(name)

@@ -7,7 +7,6 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.expressions import restored
 from cloakwork.operators.speaksfor import nearest_ancestor
 from cloakwork.sources.catalog import TableInfo
 
@@ -101,6 +100,3 @@ def reveal_pseudoprincipals(tables: dict[str, DataFrame], info: dict[str, TableI
     out[principal] = out[principal].join(pps.select(F.col("uid").alias("__u")), F.col(id_col).cast("string") == F.col("__u"), "left_anti")
     return out
 
-
-def restore_images(diffs: DataFrame, schema) -> DataFrame:
-    return diffs.select(*restored(diffs, "old", schema))

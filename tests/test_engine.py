@@ -172,3 +172,50 @@ def test_tail(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tailed").count() == 5
+
+
+def test_removal_reaches_pseudoprincipals(engine):
+    """Anonymise all, then a user's removal finds its rows under their pseudonymous owners; so does a modification."""
+    engine.apply({"stories": [Decor(("user_id",))]})
+    engine.apply({"stories": [Modify("url", ("ConstStr", "gone"))]}, user=3)
+    assert engine.tables["stories"].where("url = 'gone'").count() == 3
+    did = engine.apply({"stories": [Remove()]}, user=2)
+    assert sorted(r.id for r in engine.tables["stories"].collect()) == [3, 4, 5, 9, 10, 11, 12, 13, 14]
+    engine.reveal(did, user=2)
+    assert engine.tables["stories"].count() == 12
+    for user in (1, 2, 3, 4):
+        engine.apply({"stories": [Remove()]}, user=user)
+    assert engine.tables["stories"].count() == 0
+
+
+def test_shared_removal_and_back(engine):
+    before = state(engine)
+    did = engine.apply({"moderations": [Remove()]}, user=2)
+    assert state(engine) != before and engine.edges.count() == 3
+    engine.reveal(did)
+    assert state(engine) == before and engine.edges.count() == 0
+
+
+def test_void_reveal_can_be_repeated(engine):
+    did = engine.apply({"stories": [Remove("user_id = 2")]})
+    users = engine.tables["users"]
+    engine.tables["users"] = delete(users, "id = 2")
+    engine.reveal(did)
+    assert engine.tables["stories"].count() == 9
+    engine.tables["users"] = users
+    engine.reveal(did)
+    assert engine.tables["stories"].count() == 12
+
+
+def test_policies_open_only_their_views(spark):
+    base = spark.createDataFrame([(k, k % 3) for k in range(12)], "id long, owner long")
+    base.createOrReplaceTempView("stories")
+    seen = {"seen": base.where("owner = 1")}
+    assert policy.run(spark, "select count(*) as n from seen", seen, {}).first().n == 4
+    assert policy.run(spark, "with s as (select * from seen) select count(*) as n from s join seen using (id)", seen, {}).first().n == 4
+    for sql in ("select * from stories", "select * from seen where id in (select id from stories)", "with s as (select * from stories) select * from s", "select * from parquet.`/tmp/x`", "select * from range(3)"):
+        with pytest.raises(PermissionError):
+            policy.run(spark, sql, seen, {})
+    assert not spark.catalog.tableExists("seen") and spark.table("stories").count() == 12
+    own = {"stories": base.where("owner = 1")}
+    assert policy.run(spark, "select * from stories", own, {}).count() == 4 and spark.table("stories").count() == 12
