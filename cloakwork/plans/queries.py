@@ -12,7 +12,7 @@ from cloakwork.operators import reveal as R
 from cloakwork.operators.engine import Engine
 from cloakwork.operators.speaksfor import closure, nearest_ancestor
 from cloakwork.plans.workload import BOTH, MODERATIONS, PAIRS, TABLES
-from cloakwork.sources.catalog import Decor, ForeignKey, Generator, Modify, Remove, TableInfo, delete_matching, read_tables, update, upsert
+from cloakwork.sources.catalog import Decor, ForeignKey, Generator, Modify, Remove, TableInfo, delete_matching, insert, read_tables, update, upsert, values
 
 USERS = TableInfo("customer", ("c_custkey",), (ForeignKey("c_custkey", "customer", "c_custkey"),))
 STORIES = TableInfo("orders", ("o_orderkey",), (ForeignKey("o_custkey", "customer", "c_custkey"),))
@@ -40,10 +40,6 @@ def _sql(text: str):
 # --- the same digests in DuckDB ---
 
 
-def _duck(sql: str) -> str:
-    return sql.replace("chr(0)", "chr(0)")
-
-
 def _md5(seed: str, *keys: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}))"
 
@@ -159,33 +155,15 @@ def _edges(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey > 0").select(F.expr("cast(o_orderkey div 3 as string)").alias("old_uid"), F.col("o_orderkey").cast("string").alias("new_uid"))
 
 
-def _few_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).where("cast(new_uid as bigint) < 200")
-
-
-#: Edges below 200, as SQL has them; the queries ..._all take the edges of all orders.
-_E = "WITH RECURSIVE e AS (SELECT CAST(o_orderkey // 3 AS VARCHAR) AS old_uid, CAST(o_orderkey AS VARCHAR) AS new_uid FROM orders WHERE o_orderkey < 200 AND o_orderkey > 0), c(root, uid, depth) AS (SELECT DISTINCT old_uid, old_uid, 0 FROM e UNION ALL SELECT c.root, e.new_uid, c.depth + 1 FROM c JOIN e ON c.uid = e.old_uid WHERE c.depth < 64)"
-
-
-@_q("k8_closure", f"{_E} SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid")
-def speaks_for(spark, sf_dir):
-    return closure(_few_edges(spark, sf_dir))
-
-
 _EA = "WITH RECURSIVE e AS (SELECT CAST(o_orderkey // 3 AS VARCHAR) AS old_uid, CAST(o_orderkey AS VARCHAR) AS new_uid FROM orders WHERE o_orderkey > 0), c(root, uid, depth) AS (SELECT DISTINCT old_uid, old_uid, 0 FROM e UNION ALL SELECT c.root, e.new_uid, c.depth + 1 FROM c JOIN e ON c.uid = e.old_uid)"
 
 
-@_q("k8_closure_all", f"{_EA} SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid")
+@_q("k8_closure", f"{_EA} SELECT root, uid, min(depth) AS depth FROM c GROUP BY root, uid")
 def speaks_for_all(spark, sf_dir):
     return closure(_edges(spark, sf_dir))
 
 
-@_q("r6_nearest_ancestor", f"{_E}, g AS (SELECT new_uid AS uid FROM e WHERE CAST(new_uid AS BIGINT) % 2 = 0) SELECT uid, arg_min(root, depth) AS ancestor FROM c WHERE depth > 0 AND uid IN (SELECT uid FROM g) AND root NOT IN (SELECT uid FROM g) GROUP BY uid")
-def ancestors(spark, sf_dir):
-    return _ancestors(_few_edges(spark, sf_dir))
-
-
-@_q("r6_nearest_ancestor_all", f"{_EA}, g AS (SELECT new_uid AS uid FROM e WHERE CAST(new_uid AS BIGINT) % 2 = 0) SELECT uid, arg_min(root, depth) AS ancestor FROM c WHERE depth > 0 AND uid IN (SELECT uid FROM g) AND root NOT IN (SELECT uid FROM g) GROUP BY uid")
+@_q("r6_nearest_ancestor", f"{_EA}, g AS (SELECT new_uid AS uid FROM e WHERE CAST(new_uid AS BIGINT) % 2 = 0) SELECT uid, arg_min(root, depth) AS ancestor FROM c WHERE depth > 0 AND uid IN (SELECT uid FROM g) AND root NOT IN (SELECT uid FROM g) GROUP BY uid")
 def ancestors_all(spark, sf_dir):
     return _ancestors(_edges(spark, sf_dir))
 
@@ -262,6 +240,56 @@ def owner_hop(spark, sf_dir):
     return owned_by(tables(spark, sf_dir)["orders"], "o_custkey", 4, _edges(spark, sf_dir)).select("o_orderkey")
 
 
+@_q("d2_insert", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99 AS r_regionkey, 'NOWHERE' AS r_name")
+def inserted(spark, sf_dir):
+    r = tables(spark, sf_dir)["region"].select("r_regionkey", "r_name")
+    return insert(r, values(spark, [(99, "NOWHERE")], "r_regionkey int, r_name string"))
+
+
+@_q("snk2_upsert", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (1, 2) UNION ALL SELECT 1, 'x' UNION ALL SELECT 2, 'y'")
+def upserted_values(spark, sf_dir):
+    n = tables(spark, sf_dir)["nation"].select("n_nationkey", "n_name")
+    return upsert(n, values(spark, [(1, "x"), (2, "y")], "n_nationkey int, n_name string"), ["n_nationkey"])
+
+
+@_q("f18_parameters", "SELECT o_orderkey FROM orders WHERE o_custkey = 33")
+def parameters(spark, sf_dir):
+    return spark.sql("SELECT o_orderkey FROM {orders} WHERE o_custkey = :who", args={"who": 33}, orders=tables(spark, sf_dir)["orders"])
+
+
+@_q("z3_remove_reaches_pseudonyms", "SELECT o_orderkey FROM orders WHERE o_custkey <> 12")
+def remove_after_decor(spark, sf_dir):
+    """All orders go under pseudonyms, then a customer's removal still finds its own."""
+    t = tables(spark, sf_dir)
+    e = Engine(spark, {"customer": t["customer"], "orders": t["orders"]}, {"customer": USERS, "orders": STORIES}, PPS)
+    e.apply({"orders": [Decor(("o_custkey",))]})
+    e.apply({"orders": [Remove()]}, user=12)
+    return e.tables["orders"].select("o_orderkey")
+
+
+@_q("z3_shared_removal_revealed", f"{_M} SELECT m_id, m_moderator, m_user, (SELECT count(*) FROM customer) AS principals FROM moderations")
+def shared_removal_revealed(spark, sf_dir):
+    """A customer's shared rows are removed and revealed: rows and principals are as before."""
+    t = tables(spark, sf_dir)
+    e = Engine(spark, {n: t[n] for n in INFO}, INFO, PPS)
+    did = e.apply({"moderations": [Remove()]}, user=12)
+    e.reveal(did)
+    return e.tables["moderations"].select("m_id", "m_moderator", "m_user").withColumn("principals", F.lit(e.tables["customer"].count()))
+
+
+@_q("r1_void_reveal_again", "SELECT o_orderkey, o_custkey FROM orders")
+def void_reveal_again(spark, sf_dir):
+    """Orders are removed and their customer goes: the reveal is void. With the customer back a second one restores them."""
+    t = tables(spark, sf_dir)
+    e = Engine(spark, {"customer": t["customer"], "orders": t["orders"]}, {"customer": USERS, "orders": STORIES}, PPS)
+    did = e.apply({"orders": [Remove("o_custkey = 12")]})
+    e.tables["customer"] = t["customer"].where("c_custkey <> 12")
+    e.reveal(did)
+    e.tables["customer"] = t["customer"]
+    e.reveal(did)
+    return e.tables["orders"].select("o_orderkey", "o_custkey")
+
+
 @_q("snk3_update", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'X' ELSE n_name END AS n_name FROM nation")
 def updated(spark, sf_dir):
     return update(tables(spark, sf_dir)["nation"], "n_regionkey = 1", n_name="'X'").select("n_nationkey", "n_name")
