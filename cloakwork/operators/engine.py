@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ class Engine:
     def apply(self, spec: dict[str, list], user=None) -> str:
         """All removes, then for each table its modifies and its decors, then removes of principals; returns the disguise's id."""
         did = f"d{next(self.dids)}"
+        # pseudonyms are digests under a random seed: without it nobody can recompute them from owners and row ids
+        seed = secrets.token_hex(16)
         tables, diffs, edges = dict(self.tables), [], []
         valid = pseudoprincipals(self.edges, user) if user is not None else None
 
@@ -53,15 +56,15 @@ class Engine:
                 own = self.info[t]
                 if len(own.owner_fks) > 1:
                     gone = self._uids(user, valid)
-                    take(t, D.remove_shared(tables, own, x, self.generator, did, gone))
+                    take(t, D.remove_shared(tables, own, x, self.generator, seed, gone))
                 else:
                     take(t, D.remove(tables, own, x, user, valid=valid))
         for t, x in every:
             if isinstance(x, Modify):
-                take(t, D.modify(tables, self.info[t], x, did, user, valid if self.info[t].owner_fks else None))
+                take(t, D.modify(tables, self.info[t], x, seed, user, valid if self.info[t].owner_fks else None))
         for t, x in every:
             if isinstance(x, Decor):
-                take(t, D.decorrelate(tables, self.info[t], x, self.generator, did, user, valid))
+                take(t, D.decorrelate(tables, self.info[t], x, self.generator, seed, user, valid))
         for t, x in every:
             if isinstance(x, Remove) and t == self.principal:
                 take(t, D.remove(tables, self.info[t], x, user, self.principal, valid))

@@ -219,3 +219,17 @@ def test_policies_open_only_their_views(spark):
     assert not spark.catalog.tableExists("seen") and spark.table("stories").count() == 12
     own = {"stories": base.where("owner = 1")}
     assert policy.run(spark, "select * from stories", own, {}).count() == 4 and spark.table("stories").count() == 12
+
+
+def test_pseudonyms_cannot_be_recomputed(engine):
+    """Whoever knows the disguise's id, the owners and the row ids finds no owner; two runs share no pseudonym."""
+    import hashlib
+
+    rows = state(engine)["stories"]
+    tables = dict(engine.tables)
+    did = engine.apply({"stories": [Decor(("user_id",))]})
+    trace = {PP_BASE + int(hashlib.md5(f"{did}|stories|user_id|{u}|{i}".encode()).hexdigest()[:15], 16) for i, _, _ in rows for u in range(1, 6)}
+    ids = {r[1] for r in state(engine)["stories"]}
+    again = Engine(engine.spark, tables, INFO, GEN)
+    again.apply({"stories": [Decor(("user_id",))]})
+    assert not ids & trace and len(ids) == len(rows) and not ids & {r[1] for r in state(again)["stories"]}
