@@ -11,7 +11,7 @@ from cloakwork.operators import encrypted, policy
 from cloakwork.operators import reveal as R
 from cloakwork.operators.engine import Engine
 from cloakwork.operators.speaksfor import closure, nearest_ancestor
-from cloakwork.plans import review_queries
+from cloakwork.plans import record_queries, review_queries
 from cloakwork.plans.workload import BOTH, MODERATIONS, PAIRS, TABLES
 from cloakwork.sources.catalog import Decor, ForeignKey, Generator, Modify, Remove, TableInfo, delete_matching, insert, read_tables, update, upsert, values
 
@@ -372,5 +372,5 @@ def encrypted_delete(spark, sf_dir):
     return encrypted.delete(encrypted.insert(c, keys, ["c_custkey"]), keys, ["c_custkey"], _TYPES, "c_nationkey = 1")[0].select("c_custkey")
 
 
-QUERIES = {n: _sql(t) for n, t in BOTH.items()} | {n: _sql(a) for n, (a, _) in PAIRS.items()} | Q | review_queries.QUERIES
-ORACLES = BOTH | {n: b for n, (_, b) in PAIRS.items()} | SQL | review_queries.ORACLES
+QUERIES = {n: _sql(t) for n, t in BOTH.items()} | {n: _sql(a) for n, (a, _) in PAIRS.items()} | Q | review_queries.QUERIES | record_queries.QUERIES
+ORACLES = BOTH | {n: b for n, (_, b) in PAIRS.items()} | SQL | review_queries.ORACLES | record_queries.ORACLES
