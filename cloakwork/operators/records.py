@@ -215,11 +215,11 @@ class Records:
                 mine = mine.select("uid", "spot", "key", "loc").join(self.bags, "loc").withColumn("text", F.try_aes_decrypt("bag", "key").cast("string"))
             step = mine.select("loc", "spot", "did", "uid", F.explode(F.from_json("text", part)).alias("r")).where("uid = r.uid")
             step = step.select("loc", "spot", "did", "uid", "r.kind", "r.payload", "r.new_uid", "r.secret").checkpoint()
-            found = step if found is None else found.unionByName(step).checkpoint()
+            found = step if found is None else found.unionByName(step)
             front = step.where("kind = 'CHAIN'").select(F.col("new_uid").alias("uid"), "secret").distinct().withColumn("spot", spot_udf("secret")).join(seen, "spot", "left_anti").checkpoint()
             if front.isEmpty():
                 return found
-            seen = seen.union(front.select("spot")).checkpoint()
+            seen = seen.union(front.select("spot"))
 
     def get_records(self, did: str, uid, secret: str) -> tuple[DataFrame, DataFrame]:
         """(uid, payload) of one disguise, and (old_uid, new_uid, secret) of all chains that the key opens."""
