@@ -51,6 +51,7 @@ BOTH = {
     "f2_bitmask": "SELECT c_custkey FROM customer WHERE (c_custkey & 5) <> 0 AND (c_custkey & 8) = 0",
     "f4_case": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS c, CASE c_nationkey WHEN 1 THEN 'one' ELSE 'other' END AS n FROM customer",
     "f6_text": "SELECT c_custkey, concat(lower(c_name), '/', upper(c_mktsegment)) AS t, instr(c_name, '#') AS at, replace(c_name, '0', 'o') AS r, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s FROM customer",
+    "f10_functions": "SELECT c_custkey, round(sqrt(c_custkey), 6) AS root, greatest(c_custkey, c_nationkey) AS g, round(power(c_nationkey, 2), 6) AS p, abs(c_nationkey - 12) AS a FROM customer",
     "f11_extract": "SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(extract(quarter FROM o_orderdate) AS INT) AS q, CAST(extract(month FROM o_orderdate) AS INT) AS m, CAST(ceil(extract(year FROM o_orderdate) / 100.0) AS INT) AS century FROM orders",
     "f21_ratio": "SELECT o_custkey, round(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 6) AS r FROM orders GROUP BY o_custkey",
     "snk5_delete_null_safe": "SELECT c_custkey FROM customer WHERE NOT coalesce(nullif(c_nationkey, 3) = 5, false)",
@@ -69,6 +70,18 @@ PAIRS = {
     "j8_lateral_series": ("SELECT r_regionkey, g FROM region, LATERAL (SELECT explode(sequence(0, r_regionkey)) AS g)", "SELECT r_regionkey, CAST(unnest(range(0, r_regionkey + 1)) AS INT) AS g FROM region"),
     "f9_url": ("SELECT page_id, parse_url(url, 'HOST') AS host FROM pages WHERE url LIKE 'http%'", "SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url LIKE 'http%'"),
     "f14_list": ("SELECT vec_id, size(embedding) AS n, CAST(element_at(embedding, 1) * 1000 AS INT) AS x, size(slice(embedding, 2, 3)) AS s FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(trunc(embedding[1] * 1000) AS INT) AS x, CAST(len(embedding[2:4]) AS INT) AS s FROM embeddings"),
+    "f13_literals": (
+        "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL '1' MONTH AS DATE) AS later, CAST(o_orderdate AS DATE) < DATE '1996-01-01' AS old, upper(hex(X'1f')) AS h FROM orders",
+        "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS later, CAST(o_orderdate AS DATE) < DATE '1996-01-01' AS old, upper(hex('\\x1f'::BLOB)) AS h FROM orders",
+    ),
+    "f15_json": (
+        "SELECT c_custkey, get_json_object(j, '$.a.n') AS n, get_json_object(j, '$.b[1]') AS b FROM (SELECT c_custkey, concat('{\"a\":{\"n\":', c_nationkey, '},\"b\":[1,', c_custkey, ']}') AS j FROM customer)",
+        "SELECT c_custkey, json_extract_string(j, '$.a.n') AS n, json_extract_string(j, '$.b[1]') AS b FROM (SELECT c_custkey, concat('{\"a\":{\"n\":', c_nationkey, '},\"b\":[1,', c_custkey, ']}') AS j FROM customer)",
+    ),
+    "f16_struct": (
+        "SELECT c_custkey, x.a.n AS n, x.name AS name FROM (SELECT c_custkey, named_struct('a', named_struct('n', c_nationkey), 'name', c_name) AS x FROM customer)",
+        "SELECT c_custkey, x.a.n AS n, x.name AS name FROM (SELECT c_custkey, struct_pack(a := struct_pack(n := c_nationkey), name := c_name) AS x FROM customer)",
+    ),
     "f17_collate": ("SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE UTF8_LCASE = 'building'", "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE NOCASE = 'building'"),
     "f19_hash": ("SELECT c_custkey, sha2(c_name, 256) AS h, md5(c_name) AS m FROM customer", "SELECT c_custkey, sha256(c_name) AS h, md5(c_name) AS m FROM customer"),
     "ud2_affil": ("SELECT c_custkey, nullif(regexp_extract(concat(c_name, '\\t', c_mktsegment, '\\tx\\t', c_nationkey, '\\nrest'), '^[^\\\\t\\\\n]*\\\\t[^\\\\t\\\\n]*\\\\t[^\\\\t\\\\n]*\\\\t([^\\\\t\\\\n]*)', 1), '') AS affil FROM customer", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS affil FROM customer"),
