@@ -8,9 +8,12 @@ with the disguise.
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import functools
 import hashlib
 import secrets
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +51,53 @@ def prime() -> int:
     return (1 << 2048) - (1 << 1984) - 1 + (1 << 64) * (pi + 124476)
 
 
+@functools.cache
+def _openssl():
+    """A function (base, exponent) -> base ** exponent mod prime of the OpenSSL that hashlib is linked to, in constant time; None without one."""
+    try:
+        lib = ctypes.CDLL(_hashlib.__file__)
+        pointer = ctypes.c_void_p
+        for name, result, *args in (
+            ("BN_new", pointer), ("BN_CTX_new", pointer), ("BN_MONT_CTX_new", pointer), ("BN_clear_free", None, pointer), ("BN_CTX_free", None, pointer),
+            ("BN_bin2bn", pointer, ctypes.c_char_p, ctypes.c_int, pointer), ("BN_bn2binpad", ctypes.c_int, pointer, ctypes.c_char_p, ctypes.c_int),
+            ("BN_MONT_CTX_set", ctypes.c_int, pointer, pointer, pointer), ("BN_mod_exp_mont_consttime", ctypes.c_int, *[pointer] * 6),
+        ):
+            f = getattr(lib, name)
+            f.restype, f.argtypes = result, args
+    except (OSError, AttributeError):
+        return None
+    size = prime().bit_length() // 8
+    number = lambda x: lib.BN_bin2bn(x.to_bytes(size, "big"), size, None)
+    modulus, shared, ctx = number(prime()), lib.BN_MONT_CTX_new(), lib.BN_CTX_new()
+    ready = lib.BN_MONT_CTX_set(shared, modulus, ctx)
+    lib.BN_CTX_free(ctx)
+
+    def power(base: int, exponent: int) -> int:  # numbers of its own for each call: threads may meet here
+        a, e, out, ctx, raw = number(base), number(exponent), lib.BN_new(), lib.BN_CTX_new(), ctypes.create_string_buffer(size)
+        try:
+            if lib.BN_mod_exp_mont_consttime(out, a, e, modulus, ctx, shared) != 1 or lib.BN_bn2binpad(out, raw, size) != size:
+                raise ArithmeticError("OpenSSL could not compute a modular power")
+            return int.from_bytes(raw.raw, "big")
+        finally:
+            lib.BN_clear_free(a), lib.BN_clear_free(e), lib.BN_clear_free(out), lib.BN_CTX_free(ctx)
+
+    return power if ready == 1 else None
+
+
+def power(base: int, exponent: int) -> int:
+    """base ** exponent mod prime; by Python where there is no OpenSSL, and for numbers that are not of the group."""
+    fast = _openssl()
+    if fast is None or not (0 < base < prime() and 0 < exponent < prime()):
+        return pow(base, exponent, prime())
+    return fast(base, exponent)
+
+
 def new_key() -> str:
     return secrets.token_hex(32)
 
 
 def public_key(secret: str) -> str:
-    return f"{pow(BASE, int(secret, 16), prime()):x}"
+    return f"{power(BASE, int(secret, 16)):x}"
 
 
 def spot_of(secret: str) -> str:
@@ -62,7 +106,7 @@ def spot_of(secret: str) -> str:
 
 
 def _agreed(public: str, secret: str) -> bytes:
-    return hashlib.sha256(f"{pow(int(public, 16), int(secret, 16), prime()):x}".encode()).digest()
+    return hashlib.sha256(f"{power(int(public, 16), int(secret, 16)):x}".encode()).digest()
 
 
 @pandas_udf(BinaryType())
@@ -98,6 +142,13 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there; a checkpoint would compute it twice, modular powers and all."""
+    to = f"{df.sparkSession.sparkContext.getCheckpointDir()}/sealed-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 class Records:
     """Principals, bags and locators. Between ``start_disguise`` and ``end_disguise`` records gather, unsealed, for one disguise.
 
@@ -136,7 +187,7 @@ class Records:
         return got.hex() if got else None
 
     def _add(self, rows: DataFrame) -> None:
-        self.principals = self.principals.join(rows.select("uid"), "uid", "left_anti").unionByName(rows).checkpoint()
+        self.principals = kept(self.principals.join(rows.select("uid"), "uid", "left_anti").unionByName(rows))
 
     # --- one disguise ---
 
@@ -156,7 +207,7 @@ class Records:
 
     def register_pseudoprincipals(self, edges: DataFrame) -> None:
         """``edges(old_uid, new_uid)``: keys for the new ones, each put into the bag of the old one (if that is known)."""
-        keys = _keys(self._seed, edges.select(F.col("new_uid").alias("uid")).distinct()).checkpoint()
+        keys = kept(_keys(self._seed, edges.select(F.col("new_uid").alias("uid")).distinct()))
         self._add(keys.select("uid", "public", "spot"))
         chain = edges.select("old_uid", "new_uid").distinct().join(keys.select(F.col("uid").alias("new_uid"), "secret"), "new_uid")
         self._open.append(chain.select(F.col("old_uid").alias("uid"), F.lit("CHAIN").alias("kind"), F.lit(None).cast("string").alias("payload"), "new_uid", "secret"))
@@ -175,14 +226,14 @@ class Records:
         if self._open:
             rows = functools.reduce(DataFrame.unionByName, self._open)
             bags, locators = self._seal(rows, self.did, self._seed)
-            self.bags, self.locators = self.bags.unionByName(bags).checkpoint(), self.locators.unionByName(locators).checkpoint()
+            self.bags, self.locators = kept(self.bags.unionByName(bags)), kept(self.locators.unionByName(locators))
         if self._gone:
-            self.principals = self.principals.where(~F.col("uid").isin(self._gone)).checkpoint()
+            self.principals = kept(self.principals.where(~F.col("uid").isin(self._gone)))
         self.did = self._seed = None
         self._open, self._gone = [], []
 
     def _seal(self, rows: DataFrame, did: str, seed: str) -> tuple[DataFrame, DataFrame]:
-        rows = rows.select(*[F.col(c.split()[0]) for c in RECORD.split(", ")], F.monotonically_increasing_id().alias("n")).checkpoint()
+        rows = kept(rows.select(*[F.col(c.split()[0]) for c in RECORD.split(", ")], F.monotonically_increasing_id().alias("n")))
         many = rows.groupBy("uid").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")).join(self.principals, "uid")
         dealt = rows.join(many, "uid").withColumn("chunk", F.pmod(F.xxhash64("n"), "chunks"))
         record = F.struct("n", "uid", "kind", "payload", "new_uid", "secret")
@@ -192,7 +243,7 @@ class Records:
             bags = bags.withColumn("s", F.struct(F.lit(None).cast("string").alias("eph"), F.lit(None).cast("binary").alias("key"))).withColumn("bag", F.col("text").cast("binary")).withColumn("at", F.col("loc").cast("binary"))
         else:
             bags = _spread(bags).withColumn("s", _sealing(seed, F.col("public"), F.col("loc"))).withColumn("bag", F.aes_encrypt(F.col("text").cast("binary"), "s.key")).withColumn("at", F.aes_encrypt(F.col("loc").cast("binary"), "s.key"))
-        bags = bags.select("loc", "spot", "s.eph", "bag", "at").checkpoint()
+        bags = kept(bags.select("loc", "spot", "s.eph", "bag", "at"))
         return bags.select("loc", F.lit(did).alias("did"), "eph", "bag"), bags.select("spot", "eph", "at")
 
     # --- with a key ---
@@ -214,9 +265,9 @@ class Records:
                 mine = _spread(mine).withColumn("key", _opening("eph", "secret")).withColumn("loc", F.try_aes_decrypt("at", "key").cast("string"))
                 mine = mine.select("uid", "spot", "key", "loc").join(self.bags, "loc").withColumn("text", F.try_aes_decrypt("bag", "key").cast("string"))
             step = mine.select("loc", "spot", "did", "uid", F.explode(F.from_json("text", part)).alias("r")).where("uid = r.uid")
-            step = step.select("loc", "spot", "did", "uid", "r.kind", "r.payload", "r.new_uid", "r.secret").checkpoint()
+            step = kept(step.select("loc", "spot", "did", "uid", "r.kind", "r.payload", "r.new_uid", "r.secret"))
             found = step if found is None else found.unionByName(step)
-            front = step.where("kind = 'CHAIN'").select(F.col("new_uid").alias("uid"), "secret").distinct().withColumn("spot", spot_udf("secret")).join(seen, "spot", "left_anti").checkpoint()
+            front = kept(step.where("kind = 'CHAIN'").select(F.col("new_uid").alias("uid"), "secret").distinct().withColumn("spot", spot_udf("secret")).join(seen, "spot", "left_anti"))
             if front.isEmpty():
                 return found
             seen = seen.union(front.select("spot"))
@@ -257,7 +308,7 @@ class Records:
         if not stay.isEmpty():
             again = self._seal(stay, did, new_key())
             bags, locators = bags.unionByName(again[0]), locators.unionByName(again[1])
-        self.bags, self.locators = bags.select(*[c.split()[0] for c in _BAG.split(", ")]).checkpoint(), locators.select("spot", "eph", "at").checkpoint()
+        self.bags, self.locators = kept(bags.select(*[c.split()[0] for c in _BAG.split(", ")])), kept(locators.select("spot", "eph", "at"))
 
     # --- keeping ---
 
