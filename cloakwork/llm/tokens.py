@@ -12,6 +12,7 @@ import re
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 
 #: White space that may join a run with the spaces and line feeds beside it; texts that hold some are encoded whole.
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -22,6 +23,10 @@ PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|\n| ?[0-
 FEED = "\u010a"
 #: Longer pieces are not kept.
 LONGEST = 64
+#: What each byte of a plain text is: 0 no plain text, 1 space, 2 line feed, 3 letter (of U+00C0 to U+023F, too), 4 digit, 5 other visible ASCII.
+KIND = np.zeros(256, np.uint8)
+KIND[32], KIND[10], KIND[33:127] = 1, 2, 5
+KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]], KIND[48:58], KIND[39] = 3, 4, 0
 
 
 def _spelling() -> dict[int, str]:
@@ -37,11 +42,12 @@ class Encoder:
 
     Texts that hold the string of an added token are left to the library whole. A byte-level pre-tokenizer always cuts before a
     single space, so texts are cut there and each piece is looked up with its space. Unknown pieces are put together
-    from the ids of their words, and the unknown words of a batch are encoded by the library in one call. At most
-    ``cache`` pieces and as many words are kept, so memory is bounded; results don't depend on what is kept.
+    from the ids of their words, and the unknown words of a batch are encoded by the library in one call. Plain texts (KIND)
+    are cut into words at once, by their bytes, and each distinct word of a batch is looked up. At most ``cache`` words and
+    a third as many pieces are kept, so memory is bounded; results don't depend on what is kept.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -72,6 +78,39 @@ class Encoder:
         starts = [0, *(e + 1 for e in ends[:-1])]
         return [raw[a * w : b * w] for a, b in zip(starts, ends, strict=True)] if len(ends) == len(words) else None
 
+    def _learn_words(self, words: list[str]) -> None:
+        if words:
+            ids = self._between_feeds(self.spelt, "\n".join(words).translate(self.spelling), words)
+            self.words.update(zip(words, ids or [self._ids(x).tobytes() for x in words], strict=True))
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of texts by their words; None for those that aren't plain. No text begins or ends with a space."""
+        ends = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        kind = KIND[data]
+        bad = kind == 0
+        pair = kind[1:]
+        bad[1:] |= (pair <= 2) & (kind[:-1] <= 2)  # white space beside white space
+        bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs of multiplication and division
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(bad), "right") - 1] = True
+        if odd.any():
+            known = iter(self._plain([t for t, o in zip(texts, odd, strict=True) if not o]) if not odd.all() else ())
+            return [None if o else next(known) for o in odd]
+        # a word begins where the kind changes, but a space belongs to what follows it
+        first = np.ones(len(data), bool)
+        first[1:] = (pair != kind[:-1]) & (kind[:-1] != 1)
+        first[ends[:-1][ends[:-1] < len(data)]] = True
+        starts = np.flatnonzero(first)
+        at = np.searchsorted(starts, ends).tolist()
+        words = pa.Array.from_buffers(pa.large_utf8(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        own, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        new = list(filterfalse(self.words.__contains__, own))
+        self._learn_words(new)
+        get = list(map(self.words.__getitem__, own)).__getitem__
+        self._forget(self.words, new, self.limit)
+        return [np.frombuffer(b"".join(map(get, codes[a:b].tolist())), dtype=self.dtype) for a, b in zip(at, at[1:], strict=False)]
+
     def _learn(self, new: list[str]) -> None:
         """Ids of pieces, each with a space before it; None for those with other white space."""
         known, words, plain, rest = self.words, set(), [], []
@@ -81,9 +120,7 @@ class Encoder:
         for x in parts:
             words.update(filterfalse(known.__contains__, x))
         words = list(words)
-        if words:
-            ids = self._between_feeds(self.spelt, "\n".join(words).translate(self.spelling), words)
-            known.update(zip(words, ids or [self._ids(x).tobytes() for x in words], strict=True))
+        self._learn_words(words)
         get = known.__getitem__
         self.pieces.update((p, b"".join(map(get, x))) for p, x in zip(plain, parts, strict=True))
         self.pieces.update((p, None) for p in rest if OTHER_SPACE.search(p))
@@ -94,12 +131,12 @@ class Encoder:
         for p in rest:
             if p not in self.pieces:
                 self.pieces[p] = self._ids(" " + p).tobytes()
-        self._forget(known, words)
+        self._forget(known, words, self.limit)
 
-    def _forget(self, held: dict, new: list[str]) -> None:
+    def _forget(self, held: dict, new: list[str], most: int) -> None:
         for x in [x for x in new if len(x) > LONGEST]:
             del held[x]
-        over = len(held) - self.limit
+        over = len(held) - most
         for x in [x for x in new if x in held][-over:] if over > 0 else ():
             del held[x]
 
@@ -111,7 +148,9 @@ class Encoder:
             return [np.array(e.ids, dtype=self.dtype) for e in got]
         # runs of spaces and line feeds with a space in them aren't cut where spaces are
         odd = [any(a in t for a in self.added) or t[:1] == " " or t[-1:] == " " or "  " in t or "\n " in t or " \n" in t for t in texts]
-        split = [None if o else t.split(" ") for o, t in zip(odd, texts, strict=True)]
+        plain = iter(self._plain([t.encode() for o, t in zip(odd, texts, strict=True) if not o]))
+        plain = [None if o else next(plain) for o in odd]
+        split = [None if o or x is not None else t.split(" ") for o, x, t in zip(odd, plain, texts, strict=True)]
         new, known = set(), self.pieces.__contains__
         for s in split:
             if s:
@@ -121,13 +160,12 @@ class Encoder:
         new = list(new)
         self._learn(new)
         out, get = [], self.pieces.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            ids = None
+        for t, s, ids in zip(texts, split, plain, strict=True):
             if s and not OTHER_SPACE.search(head := s.pop()):
                 found = list(map(get, s))
                 ids = None if None in found else np.frombuffer(self._ids(head).tobytes() + b"".join(found), dtype=self.dtype)
             out.append(self._ids(t) if ids is None else ids)
-        self._forget(self.pieces, new)
+        self._forget(self.pieces, new, self.limit // 3)
         return out
 
 
