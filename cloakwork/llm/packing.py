@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import Scratch, columns_of
-from cloakwork.llm.tokens import batches, encoder
+from cloakwork.llm.tokens import batches, encoder, trim
 
 _OUT = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("rank", pa.int64())])
 
@@ -24,6 +24,7 @@ def pieces(n: int, most: int = 2048) -> list[int]:
 def _decompose(tokenizer: str, most: int, end_id: int):
     def cut(rows):
         shard, enc, seen = TaskContext.get().partitionId(), None, {}
+        trim()  # the worker may have served other stages
         for b in batches(rows, "text"):
             enc = enc or encoder(tokenizer)
             out = [[] for _ in range(6)]
